@@ -4,9 +4,9 @@ Candidates are maximal runs of at least ``MIN_RUN`` characters [A-Za-z0-9+/_=-].
 character class (``CLASSES``) the maximal runs of that class within a candidate are swept by a
 window of the class's width; the Shannon entropy of the window follows from counts that are
 updated by one character in and one out.  Windows that reach the class's threshold, and hold
-the kinds of characters it asks for, are joined to spans.  A span is suppressed if the
-candidate matches the allow-list (UUIDs, placeholders, repeated or counting
-runs, ...), or one of the caller's own patterns.
+the kinds of characters it asks for, are joined to spans.  A span is suppressed if nothing
+of it would be found without the candidate's allowed parts (UUIDs, placeholders, labelled
+digests, counting runs, paths of words), or if it is matched whole by one of the caller's own patterns.
 
 Defined results: null and empty texts have no finding; where classes overlap the longest
 span counts, then the earlier class of the list; rows that repeat a doc_id are scanned apart; a
@@ -51,13 +51,19 @@ CLASSES = (
     CharClass("base64", _LOW + _UP + _DIGIT + "+/_-=", 24, 3.8, (_LOW, _UP, _DIGIT)),
 )
 
-#: Runs that look random and aren't secret, matched against the whole candidate.
+_HUMPS = r"(?:[A-Z]?[a-z]{2,}|[A-Z]{2,})(?:[A-Z][a-z]{2,})*[0-9]{0,3}"
+_PART = rf"(?:{_HUMPS}|[0-9]{{1,4}}|[a-z])"
+_SEGMENT = rf"{_PART}(?:[_-]{_PART})*"
+
+#: Parts of a candidate that look random and aren't secret. None has a quantifier within an
+#: ambiguous other one, so matching takes linear time.
 ALLOWED = (
-    r"(?i).*[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}.*",
-    r"(?i).*(example|placeholder|your[_-]?(api|key|token|secret)|changeme|dummy|redacted|xxxxx).*",
-    r"(?i)(sha(1|256|384|512)[-=_].+|integrity[-=_].*|commit[-=_/].*)",
-    r"(?i).*(0123456789|abcdefghijklm).*",
-    r"(?i)(/?[a-z0-9_-]*[a-z][a-z0-9_-]{0,14}){3,}/[a-z_-]*",
+    r"(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])",
+    r"(?i)example(?:key)?|placeholder|your[_-]?(?:api|key|token|secret)|changeme|dummy|redacted|x{5,}",
+    r"(?i)(?<![0-9a-z])(?:(?:sha1|commit)[-=_/][0-9a-f]{40}|sha256[-=_/][0-9a-f]{64}|sha384[-=_/][0-9a-f]{96}|sha512[-=_/][0-9a-f]{128})(?![0-9a-z])",
+    r"(?i)(?<![0-9a-z])(?:sha1-[0-9a-z+/]{27}=|sha256-[0-9a-z+/]{43}=|sha384-[0-9a-z+/]{64}|sha512-[0-9a-z+/]{86}==)(?![0-9a-z+/=])",
+    r"(?i)0123456789(?:abcdef)?|abcdefghijklm(?:nopqrstuvwxyz)?",
+    rf"(?<![A-Za-z0-9+/_-])/?{_SEGMENT}(?:/{_SEGMENT}){{2,}}/?(?![A-Za-z0-9+/_-])",
 )
 
 
@@ -126,25 +132,47 @@ def _spans(run: str, own: CharClass) -> list[tuple[int, int, float]]:
     return out
 
 
+def _joined(run: str) -> list[tuple[int, int, float, str]]:
+    """(start, end, entropy, class) of the findings of a run, none of which overlap."""
+    got = sorted((-(e - s), k, s, e, h, c.name) for k, c in enumerate(CLASSES) for s, e, h in _spans(run, c))
+    out: list[tuple[int, int, float, str]] = []
+    for _, _, s, e, h, name in got:
+        if all(e <= a or b <= s for a, b, *_ in out):
+            out.append((s, e, h, name))
+    return out
+
+
 class Scanner:
-    """The scan of one text; ``allowed``: patterns for whole candidates besides those of ``ALLOWED``."""
+    """The scan of one text; ``allowed``: patterns for whole spans besides those of ``ALLOWED``."""
 
     def __init__(self, allowed: Sequence[str] = ()) -> None:
-        self.allowed = [re.compile(p) for p in (*ALLOWED, *allowed)]
+        self.parts = [re.compile(p) for p in ALLOWED]
+        self.allowed = [re.compile(p) for p in allowed]
+
+    def _open(self, run: str) -> list[tuple[int, int]]:
+        """Spans that a candidate still has once its allowed parts are cut out."""
+        cuts = sorted(m.span() for p in self.parts for m in p.finditer(run))
+        if not cuts:
+            return [(0, len(run))]
+        out: list[tuple[int, int]] = []
+        at = 0
+        for start, end in [*cuts, (len(run), len(run))]:
+            if start > at:
+                out += [(at + s, at + e) for s, e, *_ in _joined(run[at:start])]
+            at = max(at, end)
+        return out
 
     def scan(self, text: str | None) -> list[Finding]:
         out: list[Finding] = []
         for match in _RUN.finditer(text or ""):
             run = match.group()
-            got = sorted((-(e - s), k, s, e, h, c.name) for k, c in enumerate(CLASSES) for s, e, h in _spans(run, c))
+            got = _joined(run)
             if not got:
                 continue
-            quiet = any(p.fullmatch(run) for p in self.allowed)
-            taken: list[tuple[int, int]] = []
-            for _, _, s, e, h, name in got:
-                if all(e <= a or b <= s for a, b in taken):
-                    taken.append((s, e))
-                    out.append(Finding(match.start() + s, match.start() + e, name, round(h, 6), quiet))
+            left = self._open(run)
+            for s, e, h, name in got:
+                quiet = not any(a < e and s < b for a, b in left) or any(p.fullmatch(run[s:e]) for p in self.allowed)
+                out.append(Finding(match.start() + s, match.start() + e, name, round(h, 6), quiet))
         return sorted(out, key=lambda f: f.start)
 
     def redact(self, text: str) -> str:
