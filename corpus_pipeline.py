@@ -11,20 +11,40 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from cataloom.llm import simhash
+from cataloom.llm import bpe, decontam, line_crf, secret_scan, simhash
 from cataloom.llm._spark import shared_dir
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
 
+def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that are mostly content stay."""
+    return line_crf.retain(docs, line_crf.fit(docs, spark.read.parquet(f"{sf_dir}/labels.parquet")))
+
+
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies stays."""
     return simhash.deduplicate(docs)
 
 
-STAGES: list[tuple[str, Stage]] = [("near_dedup", near_dedup)]
+def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that leak a benchmark item go."""
+    return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
+
+
+def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Secrets are masked."""
+    return secret_scan.redact(docs)
+
+
+def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The columns tokens and n_tokens are added."""
+    return bpe.tokenize(docs, bpe.fit(docs))
+
+
+STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
-#: The classifier, SimHash and the tokenizer can't be expressed in SQL; tests hold the stages against brute force.
+#: The classifier, SimHash and the tokenizer can't be expressed in SQL; tests hold near-dedup and the merges against brute force.
 ORACLE_SQL: str | None = None
 
 

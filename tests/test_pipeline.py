@@ -1,0 +1,53 @@
+"""The tokenizer against a plain one, and what no document may hold after all stages."""
+
+import random
+import re
+from collections import Counter
+
+import corpus_pipeline
+from cataloom.llm import bpe, decontam
+
+
+def test_merges_as_by_recount():
+    draw = random.Random(5)
+    counts = [(w, draw.randint(1, 9)) for w in sorted({"".join(draw.choices("abcé ", k=draw.randint(1, 9))) for _ in range(60)})]
+    words, expected = [list(w.encode()) for w, _ in counts], []
+    for new in range(256, 286):
+        pairs: Counter[tuple[int, int]] = Counter()
+        for word, (_, n) in zip(words, counts):
+            for pair in zip(word, word[1:]):
+                pairs[pair] += n
+        best = min(pairs, key=lambda p: (-pairs[p], p))
+        expected.append(best)
+        words = [bpe._merged(w, best, new) for w in words]
+    assert bpe.train(counts, 30) == expected
+
+
+def test_all_stages(spark):
+    at = "/root/testdata/sf0.01"
+    out = corpus_pipeline.run(spark, at).cache()
+    rows = out.collect()
+    before = {r["doc_id"]: r["text"] for r in spark.read.parquet(f"{at}/documents.parquet").collect()}
+    assert [k for k, _ in corpus_pipeline.STAGES] == ["quality", "near_dedup", "decontamination", "secrets", "tokens"]
+    assert 0 < len(rows) < len(before) and len({r["doc_id"] for r in rows}) == len(rows)
+    assert not any(re.search(r"(?<![0-9a-f])[0-9a-f]{40}(?![0-9a-f])", r["text"]) for r in rows)
+    assert decontam.leaks(out, spark.read.parquet(f"{at}/benchmark.parquet")).isEmpty()
+    encoder = bpe.fit(out)
+    assert all(encoder.decode(r["tokens"]) == r["text"] and r["n_tokens"] == len(r["tokens"]) for r in rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in rows if r["text"] != before[r["doc_id"]])
+
+
+def test_encoding_as_by_merging_in_order():
+    draw = random.Random(6)
+    texts = ["".join(draw.choices("abcé 1_.\n", k=30)) for _ in range(200)]
+    merges = bpe.train(list(Counter(p for t in texts for p in bpe.pieces(t)).items()), 80)
+    encoder = bpe.Encoder(merges)
+    for text in texts:
+        expected = []
+        for piece in bpe.pieces(text):
+            word = list(piece.encode())
+            for k, pair in enumerate(merges):
+                word = bpe._merged(word, pair, 256 + k)
+            expected += word
+        assert encoder.encode(text).tolist() == expected
+        assert encoder.decode(expected) == text
