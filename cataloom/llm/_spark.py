@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-import os
+import atexit
+import shutil
 import tempfile
 import uuid
 from pathlib import Path
@@ -12,6 +13,7 @@ from pyspark.sql import functions as F
 
 #: Keys up to which a key table may be broadcast (16 bytes each or less: 16 MB).
 BROADCAST_KEYS = 1_000_000
+_SENT = ""
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -27,7 +29,9 @@ def shared_dir(spark: SparkSession) -> str:
         return there
     if not spark.sparkContext.master.startswith("local[") and spark.sparkContext.master != "local":
         raise RuntimeError("spark.checkpoint.dir must name a folder that all executors share")
-    own = f"file://{tempfile.mkdtemp(prefix='cataloom-')}"
+    at = tempfile.mkdtemp(prefix="cataloom-")
+    atexit.register(shutil.rmtree, at, True)
+    own = f"file://{at}"
     spark.sparkContext.setCheckpointDir(own)
     return own
 
@@ -52,12 +56,16 @@ def hint(small: DataFrame, limit: int = BROADCAST_KEYS) -> DataFrame:
 
 
 def workers_find_package(spark: SparkSession) -> None:
-    """Python workers import this package from where the driver has it (local mode, shared disks)."""
-    root = str(Path(__file__).resolve().parents[2])
-    env = spark.sparkContext.environment
-    paths = [p for p in env.get("PYTHONPATH", "").split(os.pathsep) if p]
-    if root not in paths:
-        env["PYTHONPATH"] = os.pathsep.join([root, *paths])
+    """Python workers import this package from a zip that Spark hands to every executor, wherever it runs."""
+    global _SENT
+    if _SENT == spark.sparkContext.applicationId:
+        return
+    root = Path(__file__).resolve().parents[1]
+    at = Path(tempfile.mkdtemp(prefix="cataloom-package-"))
+    atexit.register(shutil.rmtree, at, True)
+    made = shutil.make_archive(str(at / root.name), "zip", root.parent, root.name)
+    spark.sparkContext.addPyFile(made)
+    _SENT = spark.sparkContext.applicationId
 
 
 def clashless(df: DataFrame, stem: str) -> str:
@@ -67,3 +75,11 @@ def clashless(df: DataFrame, stem: str) -> str:
     while name.lower() in taken:
         name += "_"
     return name
+
+
+def drop(df: DataFrame) -> None:
+    """Deletes the files of a written table that nothing will read any more."""
+    spark = df.sparkSession
+    at = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.inputFiles()[0]).getParent() if df.inputFiles() else None
+    if at is not None and at.getName().startswith("cataloom-"):
+        at.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(at, True)

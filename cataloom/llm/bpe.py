@@ -1,190 +1,160 @@
-"""Byte-pair encoding over UTF-8 bytes (operator 2).
-
-A text is cut into pieces (runs of letters, of up to three digits or of other signs, with one
-space before them, or of white space; at most ``LONGEST`` characters), which together are the
-text.  Pieces are counted over all documents; the ``most_pieces`` most frequent ones train the
-merges on the driver: again and again the most frequent pair of neighbouring tokens becomes a
-token.  Every document is then encoded piece by piece, merges in the order they were learnt;
-a piece that a worker has met before is looked up.
-
-Tokens 0 to 255 are the bytes, token 256 + k is merge k, so any text can be encoded and
-``Encoder.decode`` gives it back.
-
-Defined results: equally frequent pieces are ordered by text, equally frequent pairs by token
-numbers; training ends early where no pair occurs twice; a null text has null tokens, an empty
-one none; rows that repeat a doc_id are encoded apart; other columns pass unchanged.
+"""Byte-level BPE encoding and decoding (operator 2).
+
+The tokenizer is tiktoken over a rank file that the caller names; the driver reads the file
+and sends its bytes along, so executors need no copy, and nothing is trained.  A text of more
+than ``CUT`` characters is cut into stretches first.  A cut lies between a visible character
+and a space: the splitting pattern never has a piece that goes over such a place, nor looks
+back across it, so the stretches' tokens in a row are the text's tokens.  Decoding works on
+raw bytes, so a list that ends within a character keeps its bytes.
+
+Defined results: a null text has null tokens, an empty one none; a text with no place to cut
+is encoded in one stretch; strings that look like special tokens are ordinary text; rows that
+repeat, or share a doc_id, are encoded apart; a list with a null, negative or unknown id is
+decoded to null; columns called like an added one give way to it, all others pass unchanged.
 """
 
 from __future__ import annotations
 
-import heapq
+import base64
 import re
-from collections import Counter, defaultdict
-from collections.abc import Iterator, Sequence
+import zlib
+from collections.abc import Iterator
+from dataclasses import dataclass
 from functools import lru_cache
-from itertools import repeat
-from operator import add
+from pathlib import Path
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import tiktoken
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import table, workers_find_package
-
-MERGES = 4000
-#: Distinct pieces that train the merges at most.
-MOST_PIECES = 50_000
-LONGEST = 64
-_PIECE = re.compile(rf" ?[^\W\d_]{{1,{LONGEST}}}| ?\d{{1,3}}| ?[^\w\s]{{1,{LONGEST}}}| ?_{{1,{LONGEST}}}|\s{{1,{LONGEST}}}|.", re.DOTALL)
-_HELD = 500_000
-
-
-def pieces(text: str) -> list[str]:
-    return _PIECE.findall(text)
-
-
-def train(counts: list[tuple[str, int]], merges: int = MERGES) -> list[tuple[int, int]]:
-    """The merges learnt from (piece, how often it occurs)."""
-    words = [list(piece.encode()) for piece, _ in counts]
-    often = [n for _, n in counts]
-    total: dict[tuple[int, int], int] = defaultdict(int)
-    held: dict[tuple[int, int], set[int]] = defaultdict(set)
-    for k, word in enumerate(words):
-        for pair in zip(word, word[1:]):
-            total[pair] += often[k]
-            held[pair].add(k)
-    heap = [(-n, pair) for pair, n in total.items()]
-    heapq.heapify(heap)
-    out: list[tuple[int, int]] = []
-    while heap and len(out) < merges:
-        n, best = heapq.heappop(heap)
-        if -n != total.get(best, 0):
-            continue  # a later entry has its count
-        if -n < 2:
-            break
-        new = 256 + len(out)
-        out.append(best)
-        changed = set()
-        for k in held.pop(best):
-            word = words[k]
-            for pair in zip(word, word[1:]):
-                total[pair] -= often[k]
-                changed.add(pair)
-            words[k] = word = _merged(word, best, new)
-            for pair in zip(word, word[1:]):
-                total[pair] += often[k]
-                held[pair].add(k)
-                changed.add(pair)
-        for pair in changed:
-            if total[pair] > 0:
-                heapq.heappush(heap, (-total[pair], pair))
-            else:
-                del total[pair]
-    return out
-
-
-def _merged(word: list[int], pair: tuple[int, int], new: int) -> list[int]:
-    out, k = [], 0
-    while k < len(word):
-        if k + 1 < len(word) and word[k] == pair[0] and word[k + 1] == pair[1]:
-            out.append(new)
-            k += 2
-        else:
-            out.append(word[k])
-            k += 1
-    return out
-
-
-class Encoder(dict):
-    """Tokens of pieces, as the bytes of 32-bit numbers, made when first asked for.
-
-    While a piece is encoded its tokens are the characters of a string, so a merge is one replacement.
-    """
-
-    def __init__(self, merges: Sequence[tuple[int, int]]) -> None:
-        super().__init__()
-        self.merges = tuple(merges)
-        self.rank = {chr(a) + chr(b): k for k, (a, b) in enumerate(self.merges)}
-
-    def __reduce__(self) -> tuple:
-        return _encoder, (self.merges,)
-
-    def __missing__(self, piece: str) -> bytes:
-        word = piece.encode().decode("latin-1")
-        rank, none = self.rank.get, len(self.rank)
-        while len(word) > 1:
-            first = min(map(rank, map(add, word, word[1:]), repeat(none)))
-            if first == none:
-                break
-            a, b = self.merges[first]
-            word = word.replace(chr(a) + chr(b), chr(256 + first))
-        if len(self) >= _HELD:
-            self.clear()
-        self[piece] = out = word.encode("utf-32-le", "surrogatepass")
-        return out
-
-    def encode(self, text: str) -> np.ndarray:
-        return np.frombuffer(b"".join(map(self.__getitem__, pieces(text))), np.int32)
-
-    def decode(self, tokens: list[int]) -> str:
-        made = [bytes([b]) for b in range(256)]
-        for a, b in self.merges:
-            made.append(made[a] + made[b])
-        return b"".join(made[t] for t in tokens).decode()
-
-
-@lru_cache(1)
-def _encoder(merges: tuple[tuple[int, int], ...]) -> Encoder:
-    """A worker's tasks share what they have encoded."""
-    return Encoder(merges)
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Pieces and how often they occur, within a task."""
-    counts: Counter[str] = Counter()
-
-    def done() -> pa.RecordBatch:
-        return pa.RecordBatch.from_arrays([pa.array(counts.keys(), pa.string()), pa.array(counts.values(), pa.int64())], ["piece", "n"])
-
-    for batch in batches:
-        for text in batch.column(0):
-            counts.update(pieces(text.as_py()))
-            if len(counts) > _HELD:
-                yield done()
-                counts.clear()
-    yield done()
-
-
-def fit(docs: DataFrame, merges: int = MERGES, most_pieces: int = MOST_PIECES) -> Encoder:
-    """An encoder trained on the pieces of all documents."""
+from . import _bytes
+from ._spark import workers_find_package
+
+RANKS = "/opt/tokenizers/byte_bpe_50k.tiktoken"
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+CUT = 1 << 16
+_SAFE = re.compile(r"(?<=\S)(?= )")
+
+
+@dataclass(frozen=True)
+class Vocabulary:
+    """A rank file's bytes (compressed) and the pattern that splits texts before merging."""
+
+    packed: bytes
+    pattern: str = PATTERN
+
+    @classmethod
+    def read(cls, path: str = RANKS, pattern: str = PATTERN) -> Vocabulary:
+        return cls(zlib.compress(Path(path).read_bytes()), pattern)
+
+    def codec(self) -> Codec:
+        return _codec(self)
+
+
+class Codec:
+    """Encoder and decoder of a vocabulary; a worker makes one and keeps it."""
+
+    def __init__(self, vocabulary: Vocabulary) -> None:
+        lines = zlib.decompress(vocabulary.packed).split(b"\n")
+        self.ranks = {base64.b64decode(a): int(b) for a, b in (x.split() for x in lines if x.strip())}
+        self.encoding = tiktoken.Encoding("ranks", pat_str=vocabulary.pattern, mergeable_ranks=self.ranks, special_tokens={})
+        size = max(self.ranks.values()) + 1
+        self.bytes_of: list[bytes | None] = [None] * size
+        for token, rank in self.ranks.items():
+            self.bytes_of[rank] = token
+        self.known = np.array([b is not None for b in self.bytes_of])
+        self.lengths = np.array([len(b or b"") for b in self.bytes_of], np.int64)
+        self.starts = np.r_[0, np.cumsum(self.lengths)[:-1]]
+        self.flat = np.frombuffer(b"".join(b or b"" for b in self.bytes_of), np.uint8)
+
+    def encode(self, text: str, cut: int = CUT) -> np.ndarray:
+        """Tokens of a text, 32-bit."""
+        one = lambda part: self.encoding.encode_to_numpy(part, disallowed_special=()).view(np.int32)
+        if len(text) <= cut:
+            return one(text)
+        out, at = [], 0
+        for stop in stretches(text, cut):
+            out.append(one(text[at:stop]))
+            at = stop
+        return np.concatenate(out)
+
+    def decode_all(self, tokens: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(bytes of all lists in a row, where each list's bytes end, whether all ids of a list are known)."""
+        safe = (tokens >= 0) & (tokens < len(self.known))
+        safe[safe] = self.known[tokens[safe]]
+        bad = np.r_[0, np.cumsum(~safe)]
+        begins = np.r_[0, ends[:-1]]
+        ids = np.where(safe, tokens, 0)
+        length = np.where(safe, self.lengths[ids], 0)
+        total = np.r_[0, np.cumsum(length)]
+        at = np.repeat(self.starts[ids] - total[:-1], length) + np.arange(total[-1])
+        return self.flat[at], total[ends], bad[ends] == bad[begins]
+
+
+@lru_cache(2)
+def _codec(vocabulary: Vocabulary) -> Codec:
+    return Codec(vocabulary)
+
+
+def stretches(text: str, cut: int = CUT) -> Iterator[int]:
+    """Ends of the stretches of a text, each the first safe place after ``cut`` characters."""
+    at = 0
+    while len(text) - at > cut and (found := _SAFE.search(text, at + cut)):
+        at = found.start()
+        yield at
+    yield len(text)
+
+
+def _lists(values: list[np.ndarray], valid: np.ndarray) -> pa.ListArray:
+    sizes = np.zeros(len(valid), np.int64)
+    sizes[valid] = [len(v) for v in values]
+    offsets = pa.array(np.r_[0, np.cumsum(sizes)].astype(np.int32))
+    return pa.ListArray.from_arrays(offsets, pa.array(np.concatenate([np.zeros(0, np.int32), *values]), pa.int32()), mask=pa.array(~valid))
+
+
+def decoded(codec: Codec, tokens: pa.ListArray) -> pa.BinaryArray:
+    """The bytes of lists of tokens."""
+    ends = tokens.offsets.to_numpy()[1:] - tokens.offsets[0].as_py()
+    flat = tokens.flatten() if not tokens.null_count else tokens.values.slice(tokens.offsets[0].as_py(), int(ends[-1]) if len(ends) else 0)
+    data, stops, known = codec.decode_all(flat.fill_null(-1).to_numpy(zero_copy_only=False).astype(np.int64), ends.astype(np.int64))
+    known &= tokens.is_valid().to_numpy(zero_copy_only=False)
+    whole = pa.Array.from_buffers(pa.large_binary(), len(ends), [None, pa.py_buffer(np.r_[0, stops].astype(np.int64)), pa.py_buffer(np.ascontiguousarray(data))])
+    if not known.all():
+        whole = pa.compute.if_else(pa.array(known), whole, pa.scalar(None, pa.large_binary()))
+    return whole.cast(pa.binary())
+
+
+def tokenize(docs: DataFrame, vocabulary: Vocabulary, text: str = "text", cut: int = CUT) -> DataFrame:
+    """``docs`` with the columns tokens, n_tokens and exact: whether the decoded tokens are the text's bytes."""
     workers_find_package(docs.sparkSession)
-    rows = docs.select(F.col("text").cast("string").alias("text")).filter("text is not null")
-    counts = table(rows.mapInArrow(_count, "piece string, n long").groupBy("piece").agg(F.sum("n").alias("n")))
-    least = known = 0
-    for least, many in sorted(map(tuple, counts.groupBy("n").count().collect()), reverse=True):
-        known += many
-        if known >= most_pieces:
-            break
-    first = counts.filter(F.col("n") >= least).orderBy(F.desc("n"), "piece").limit(most_pieces).collect()
-    return Encoder(train([(r["piece"], r["n"]) for r in first], merges))
-
-
-def tokenize(docs: DataFrame, encoder: Encoder) -> DataFrame:
-    """``docs`` with the columns tokens and n_tokens."""
-    workers_find_package(docs.sparkSession)
-
-    @F.arrow_udf("array<int>")
-    def encode(texts: pa.Array) -> pa.Array:
-        own: list[np.ndarray] = []
-        ends = np.zeros(len(texts) + 1, np.int32)
-        for k, text in enumerate(texts):
-            if text.is_valid:
-                own.append(encoder.encode(text.as_py()))
-            ends[k + 1] = ends[k] + (len(own[-1]) if text.is_valid else 0)
-        values = pa.array(np.concatenate([np.zeros(0, np.int32), *own]), pa.int32())
-        return pa.ListArray.from_arrays(pa.array(ends), values, mask=texts.is_null())
-
-    names = [c for c in docs.columns if c.lower() not in ("tokens", "n_tokens")]
-    out = docs.select(*names, encode(F.col("text").cast("string")).alias("tokens"))
-    return out.withColumn("n_tokens", F.when(F.col("tokens").isNotNull(), F.size("tokens")))
+    added = ["tokens", "n_tokens", "exact"]
+    names = [c for c in docs.columns if c.lower() not in added or c == text]
+    rows = docs.select(*(F.col(f"`{c}`") for c in names), F.col(f"`{text}`").cast("string"))
+    rows = rows.toDF(*(f"c{k}" for k in range(len(names))), "text")
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codec = vocabulary.codec()
+        for batch in batches:
+            for part in _bytes.parts(batch, "text"):
+                texts = part.column(len(names))
+                valid = texts.is_valid().to_numpy(zero_copy_only=False)
+                tokens = _lists([codec.encode(t, cut) for t in texts.to_pylist() if t is not None], valid)
+                count = pa.array(np.diff(tokens.offsets.to_numpy()).astype(np.int32), mask=~valid)
+                exact = pa.compute.equal(decoded(codec, tokens), texts.cast(pa.binary()))
+                yield pa.RecordBatch.from_arrays([*part.columns[:-1], tokens, count, exact], [*part.schema.names[:-1], *added])
+
+    fields = ", ".join(f"c{k} {t.simpleString()}" for k, t in enumerate(f.dataType for f in rows.schema.fields[:-1]))
+    out = rows.mapInArrow(encode, f"{fields}, tokens array<int>, n_tokens int, exact boolean")
+    return out.toDF(*names, *added)
+
+
+def decode(tokens: Column, vocabulary: Vocabulary) -> Column:
+    """The raw bytes (binary) of a column of token lists."""
+
+    @F.arrow_udf("binary")
+    def run(lists: pa.Array) -> pa.Array:
+        return decoded(vocabulary.codec(), lists.cast(pa.list_(pa.int32())))
+
+    return run(tokens.cast("array<int>"))

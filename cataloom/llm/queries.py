@@ -5,8 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from . import bpe, decontam, line_crf, secret_scan, simhash
+from . import bpe, decontam, line_crf, secret_scan, simhash, token_counts
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -17,7 +18,7 @@ def _read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 def op2_byte_pair_encoding(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _read(spark, sf_dir, "documents")
-    return bpe.tokenize(docs, bpe.fit(docs)).select("doc_id", "tokens", "n_tokens")
+    return bpe.tokenize(docs.select("doc_id", "text"), bpe.Vocabulary.read()).select("doc_id", "tokens", "n_tokens", "exact")
 
 
 def op3_entropy_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -37,6 +38,12 @@ def op9_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return simhash.near_duplicates(_read(spark, sf_dir, "documents"))
 
 
+def op10_prefix_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Counts of every prefix; besides, what fits the usual context of 512 tokens and what 1,000 characters cost, read from the steps."""
+    own = token_counts.counts(_read(spark, sf_dir, "documents"), bpe.Vocabulary.read())
+    return own.withColumns({"chars_in_512_tokens": token_counts.within(F.col("steps"), 512), "tokens_in_1000_chars": token_counts.count_at(F.col("steps"), 1000)})
+
+
 def queries() -> dict[str, Query]:
     return {name: f for name, f in globals().items() if name.startswith("op") and name[2].isdigit()}
 
