@@ -38,8 +38,8 @@ def secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The columns tokens and n_tokens are added."""
-    return bpe.tokenize(docs, bpe.fit(docs))
+    """The columns tokens, n_tokens and exact are added."""
+    return bpe.tokenize(docs, bpe.Vocabulary.read())
 
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]

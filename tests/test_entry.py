@@ -1,19 +1,11 @@
-"""The driver contract, and the two statements of what a word is."""
+"""The driver contract."""
 
 import __spark_entry__
-import numpy as np
-import pyarrow as pa
-
-from cataloom.llm import _bytes
 
 
 def test_entry_runs(spark):
     assert __spark_entry__.entry(spark).count() > 0
 
 
-def test_words_as_by_rule():
-    texts = ["Ab, cd-ÉF 12", "", None, "ª µ º §x’y　z", "a\nb  a"]
-    hashes, bounds = _bytes.word_batch(pa.array(texts, pa.string()))
-    words = [w for t in texts for w in _bytes.words_of(t)]
-    assert np.diff(bounds).tolist() == [len(_bytes.words_of(t)) for t in texts]
-    assert len(set(zip(words, hashes.tolist()))) == len(set(words)) == len(set(hashes.tolist()))
+def test_every_oracle_has_a_query():
+    assert set(__spark_entry__.oracle_sql()) <= set(__spark_entry__.queries())
