@@ -66,4 +66,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_hilbert_sharding": hilbert.sql(), "op4_quotation_linking": quotes.sql(), "op5_warc_revisit_resolution": warc.sql()}
+    return {"op1_hilbert_sharding": hilbert.sql(), "op4_quotation_linking": quotes.sql(), "op5_warc_revisit_resolution": warc.sql(), "op6_benchmark_decontamination": decontam.sql()}
