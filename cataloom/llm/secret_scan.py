@@ -2,15 +2,18 @@
 
 Candidates are maximal runs of at least ``MIN_RUN`` characters [A-Za-z0-9+/_=-].  For each
 character class (``CLASSES``) the maximal runs of that class within a candidate are swept by a
-window of the class's width; the Shannon entropy of the window follows from counts that are
-updated by one character in and one out.  Windows that reach the class's threshold, and hold
+window of the class's width.  Counts of every character run along the sweep; a window's counts
+are those at its end less those at its start, so moving it by one is one character in and one
+out, and give its Shannon entropy.  Windows that reach the class's threshold, and hold
 the kinds of characters it asks for, are joined to spans.  A span is suppressed if nothing
 of it would be found without the candidate's allowed parts (UUIDs, placeholders, labelled
-digests, counting runs, paths of words), or if it is matched whole by one of the caller's own patterns.
+digests, counting runs, paths of words), if it is a hexadecimal number of a digest's length and
+what stands before it says that it is one ("commit 04db...", "sha256: ..."), or if it is matched whole by one of the caller's own patterns.
 
-Defined results: null and empty texts have no finding; where classes overlap the longest
+Defined results: null and empty texts have no finding; runs shorter than the least length have none; where classes overlap the longest
 span counts, then the earlier class of the list; rows that repeat a doc_id are scanned apart; a
-null doc_id is reported as null; other columns pass unchanged through ``redact``.
+null doc_id is reported as null; ``redact`` changes text, and n_chars (if it is a number, and only where
+the text was changed); other columns pass unchanged.
 """
 
 from __future__ import annotations
@@ -20,16 +23,20 @@ import re
 from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ._spark import workers_find_package
+from ._spark import clashless, workers_find_package
 
 MIN_RUN = 20
-_CANDIDATE = f"[A-Za-z0-9+/_=-]{{{MIN_RUN},}}"
-_RUN = re.compile(_CANDIDATE)
+_CHARS = "[A-Za-z0-9+/_=-]"
 MASK = "<SECRET>"
+#: Lengths of hexadecimal digests, and what says before a number that it is one.
+DIGESTS = (32, 40, 64, 96, 128)
+_HEX = re.compile("[0-9a-f]+|[0-9A-F]+")
+_LABEL = re.compile(r"(?i)\b(?:commit|revision|checksum|digest|etag|md5|sha-?(?:1|224|256|384|512)(?:sum)?)[\"'\s:=(]{1,4}$")
 
 
 @dataclass(frozen=True)
@@ -60,7 +67,7 @@ _SEGMENT = rf"{_PART}(?:[_-]{_PART})*"
 ALLOWED = (
     r"(?i)(?<![0-9a-z])[0-9a-f]{8}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{4}-[0-9a-f]{12}(?![0-9a-z])",
     r"(?i)example(?:key)?|placeholder|your[_-]?(?:api|key|token|secret)|changeme|dummy|redacted|x{5,}",
-    r"(?i)(?<![0-9a-z])(?:(?:sha1|commit)[-=_/][0-9a-f]{40}|sha256[-=_/][0-9a-f]{64}|sha384[-=_/][0-9a-f]{96}|sha512[-=_/][0-9a-f]{128})(?![0-9a-z])",
+    r"(?i)(?<![0-9a-z])(?:md5[-=_/][0-9a-f]{32}|(?:sha1|commit)[-=_/][0-9a-f]{40}|sha256[-=_/][0-9a-f]{64}|sha384[-=_/][0-9a-f]{96}|sha512[-=_/][0-9a-f]{128})(?![0-9a-z])",
     r"(?i)(?<![0-9a-z])(?:sha1-[0-9a-z+/]{27}=|sha256-[0-9a-z+/]{43}=|sha384-[0-9a-z+/]{64}|sha512-[0-9a-z+/]{86}==)(?![0-9a-z+/=])",
     r"(?i)0123456789(?:abcdef)?|abcdefghijklm(?:nopqrstuvwxyz)?",
     rf"(?<![A-Za-z0-9+/_-])/?{_SEGMENT}(?:/{_SEGMENT}){{2,}}/?(?![A-Za-z0-9+/_-])",
@@ -76,59 +83,55 @@ class Finding:
     suppressed: bool
 
 
-class _Window:
-    """Entropy of a window by incremental counts: H = log2(n) - sum(c log2 c) / n."""
+_CLOG = np.array([0.0, *(c * math.log2(c) for c in range(1, 4097))])
+#: Window ends that one numpy step handles.
+_STEP = 1 << 14
 
-    def __init__(self) -> None:
-        self.counts: dict[str, int] = {}
-        self.size = 0
-        self.sum = 0.0
 
-    def add(self, char: str, by: int) -> None:
-        had = self.counts.get(char, 0)
-        now = had + by
-        self.sum += _CLOG(now) - _CLOG(had)
-        self.size += by
-        self.counts[char] = now
+def _codes(chars: str) -> np.ndarray:
+    table = np.full(256, -1, np.int16)
+    table[np.frombuffer(chars.encode(), np.uint8)] = np.arange(len(chars))
+    return table
 
-    def bits(self) -> float:
-        return math.log2(self.size) - self.sum / self.size
 
-    def has(self, kinds: Sequence[str]) -> bool:
-        return all(any(self.counts.get(c, 0) for c in kind) for kind in kinds)
+_TABLE = {c.name: _codes(c.chars) for c in CLASSES}
+_KINDS = {c.name: [np.isin(list(c.chars), list(kind)) for kind in c.kinds] for c in CLASSES}
 
 
-def _CLOG(c: int) -> float:
-    return c * math.log2(c) if c > 1 else 0.0
-
-
-_OF = {c.name: frozenset(c.chars) for c in CLASSES}
+def _windows(codes: np.ndarray, own: CharClass) -> tuple[np.ndarray, np.ndarray]:
+    """(where windows that are found begin, their entropy) within a run of one class."""
+    starts, bits = [], []
+    for at in range(0, len(codes) - own.width + 1, _STEP):
+        part = codes[at : at + _STEP + own.width - 1]
+        running = np.zeros((len(part) + 1, len(own.chars)), np.int32)
+        running[np.arange(1, len(part) + 1), part] = 1
+        np.cumsum(running, axis=0, out=running)
+        counts = running[own.width :] - running[: -own.width]
+        entropy = math.log2(own.width) - _CLOG[counts].sum(1) / own.width
+        good = entropy >= own.bits
+        for kind in _KINDS[own.name]:
+            good &= counts[:, kind].any(1)
+        hit = np.flatnonzero(good)
+        starts.append(hit + at)
+        bits.append(entropy[hit])
+    return np.concatenate(starts), np.concatenate(bits)
 
 
 def _spans(run: str, own: CharClass) -> list[tuple[int, int, float]]:
     """(start, end, highest entropy) of joined windows of one class within a candidate."""
     out: list[tuple[int, int, float]] = []
-    inside, at, n = _OF[own.name], 0, len(run)
-    while at < n:
-        if run[at] not in inside:
-            at += 1
+    codes = _TABLE[own.name][np.frombuffer(run.encode(), np.uint8)]
+    edges = np.flatnonzero(np.diff(np.r_[False, codes >= 0, False]))
+    for at, stop in edges.reshape(-1, 2):
+        if stop - at < own.width:
+            continue
+        starts, bits = _windows(codes[at:stop], own)
+        if not len(starts):
             continue
-        stop = at
-        while stop < n and run[stop] in inside:
-            stop += 1
-        if stop - at >= own.width:
-            window = _Window()
-            for k in range(at, stop):
-                window.add(run[k], 1)
-                if window.size > own.width:
-                    window.add(run[k - own.width], -1)
-                if window.size == own.width and (bits := window.bits()) >= own.bits and window.has(own.kinds):
-                    first = k - own.width + 1
-                    if out and first <= out[-1][1]:
-                        out[-1] = (out[-1][0], k + 1, max(out[-1][2], bits))
-                    else:
-                        out.append((first, k + 1, bits))
-        at = stop
+        first = np.flatnonzero(np.r_[True, np.diff(starts) > own.width])
+        last = np.r_[first[1:] - 1, len(starts) - 1]
+        for f, e, h in zip(starts[first] + at, starts[last] + at + own.width, np.maximum.reduceat(bits, first)):
+            out.append((int(f), int(e), float(h)))
     return out
 
 
@@ -143,9 +146,10 @@ def _joined(run: str) -> list[tuple[int, int, float, str]]:
 
 
 class Scanner:
-    """The scan of one text; ``allowed``: patterns for whole spans besides those of ``ALLOWED``."""
+    """The scan of one text; ``allowed``: patterns for whole spans besides those of ``ALLOWED``; ``least``: characters of a candidate."""
 
-    def __init__(self, allowed: Sequence[str] = ()) -> None:
+    def __init__(self, allowed: Sequence[str] = (), least: int = MIN_RUN) -> None:
+        self.runs = re.compile(f"{_CHARS}{{{least},}}")
         self.parts = [re.compile(p) for p in ALLOWED]
         self.allowed = [re.compile(p) for p in allowed]
 
@@ -164,7 +168,7 @@ class Scanner:
 
     def scan(self, text: str | None) -> list[Finding]:
         out: list[Finding] = []
-        for match in _RUN.finditer(text or ""):
+        for match in self.runs.finditer(text or ""):
             run = match.group()
             got = _joined(run)
             if not got:
@@ -172,6 +176,8 @@ class Scanner:
             left = self._open(run)
             for s, e, h, name in got:
                 quiet = not any(a < e and s < b for a, b in left) or any(p.fullmatch(run[s:e]) for p in self.allowed)
+                if not quiet and e - s == len(run) and len(run) in DIGESTS and _HEX.fullmatch(run):
+                    quiet = bool(_LABEL.search(text[max(match.start() - 24, 0) : match.start()]))
                 out.append(Finding(match.start() + s, match.start() + e, name, round(h, 6), quiet))
         return sorted(out, key=lambda f: f.start)
 
@@ -182,14 +188,14 @@ class Scanner:
         return text
 
 
-def _candidates(docs: DataFrame) -> Column:
-    return F.col("text").cast("string").rlike(_CANDIDATE)
+def _candidates(docs: DataFrame, least: int) -> Column:
+    return F.col("text").cast("string").rlike(f"{_CHARS}{{{least},}}")
 
 
-def findings(docs: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
+def findings(docs: DataFrame, allowed: Sequence[str] = (), least: int = MIN_RUN) -> DataFrame:
     """(doc_id, start, end, kind, entropy, suppressed) of every finding; only texts with a candidate leave the JVM."""
     workers_find_package(docs.sparkSession)
-    scanner = Scanner(allowed)
+    scanner = Scanner(allowed, least)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "start", "end", "kind", "entropy", "suppressed"]
@@ -198,21 +204,23 @@ def findings(docs: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
             rows = [(d, *vars(f).values()) for d, t in zip(batch.column(0).to_pylist(), batch.column(1)) for f in scanner.scan(t.as_py())]
             yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], kind) for k, kind in enumerate(kinds)], names)
 
-    rows = docs.filter(_candidates(docs)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
+    rows = docs.filter(_candidates(docs, least)).select(F.col("doc_id").cast("long"), F.col("text").cast("string"))
     return rows.mapInArrow(scan, "doc_id long, start int, end int, kind string, entropy double, suppressed boolean")
 
 
-def redact(docs: DataFrame, allowed: Sequence[str] = ()) -> DataFrame:
-    """``docs`` with every finding that isn't suppressed replaced by a mask, and n_chars (if there) counted anew."""
+def redact(docs: DataFrame, allowed: Sequence[str] = (), least: int = MIN_RUN) -> DataFrame:
+    """``docs`` with every finding that isn't suppressed replaced by a mask, and n_chars (if there) counted anew for the texts that changed."""
     workers_find_package(docs.sparkSession)
-    scanner = Scanner(allowed)
+    scanner = Scanner(allowed, least)
 
     @F.arrow_udf("string")
     def clean(texts: pa.Array) -> pa.Array:
         return pa.array([None if t is None else scanner.redact(t) for t in texts.to_pylist()], pa.string())
 
-    cleaned = F.coalesce(clean(F.when(_candidates(docs), F.col("text").cast("string"))), F.col("text"))
-    out = docs.withColumn("text", cleaned)
-    if "n_chars" in docs.columns:
-        out = out.withColumn("n_chars", F.coalesce(F.length("text").cast("long"), F.col("n_chars")))
-    return out.select(*docs.columns)
+    made = clashless(docs, "redacted_text")
+    out = docs.withColumn(made, clean(F.when(_candidates(docs, least), F.col("text").cast("string"))))
+    changed = F.col(made).isNotNull() & (F.col(made) != F.col("text"))
+    kinds = dict(docs.dtypes)
+    if kinds.get("n_chars") in ("int", "bigint"):
+        out = out.withColumn("n_chars", F.when(changed, F.length(made).cast(kinds["n_chars"])).otherwise(F.col("n_chars")))
+    return out.withColumn("text", F.coalesce(made, "text")).select(*docs.columns)
