@@ -6,13 +6,12 @@ written as Parquet and read again as the documents of the next stage.
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
 from cataloom.llm import bpe, decontam, line_crf, secret_scan, simhash
-from cataloom.llm._spark import shared_dir
+from cataloom.llm._spark import drop, table
 
 Stage = Callable[[SparkSession, DataFrame, str], DataFrame]
 
@@ -23,12 +22,12 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near copies stays."""
+    """One row of each group of near copies stays."""
     return simhash.deduplicate(docs)
 
 
 def decontamination(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go."""
+    """Rows that leak a benchmark item go."""
     return decontam.decontaminate(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
 
 
@@ -44,18 +43,17 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 STAGES: list[tuple[str, Stage]] = [("quality", quality), ("near_dedup", near_dedup), ("decontamination", decontamination), ("secrets", secrets), ("tokens", tokens)]
 
-#: The classifier, SimHash and the tokenizer can't be expressed in SQL; tests hold near-dedup and the merges against brute force.
+#: SQL can't express a classifier, majority signatures and their groups, or a tokenizer; tests/llm/test_pipeline.py holds each stage against a plain statement of it.
 ORACLE_SQL: str | None = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; what lies between them is written to the shared folder."""
-    at = f"{shared_dir(spark)}/corpus-pipeline-{uuid.uuid4().hex}"
+    """All stages over documents; what lies between them is written to the shared folder, and freed once the next is written."""
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for k, (_, stage) in enumerate(STAGES):
-        out = stage(spark, docs, sf_dir)
-        if k == len(STAGES) - 1:
-            return out
-        out.write.parquet(f"{at}/{k}")
-        docs = spark.read.parquet(f"{at}/{k}")
-    return docs
+    before = None
+    for _, stage in STAGES[:-1]:
+        docs = table(stage(spark, docs, sf_dir))
+        if before is not None:
+            drop(before)
+        before = docs
+    return STAGES[-1][1](spark, docs, sf_dir)
