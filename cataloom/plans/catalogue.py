@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .. import streaming as Z
 from ..constants import REGIONS
 from ..functions import language as L
 from ..functions import regional as R
@@ -25,6 +27,7 @@ from ..operators import match as M
 from ..operators import queue as W
 from ..operators import resilience as B
 from ..operators import upsert as U
+from ..session import shared_dir
 from . import duck as D
 from .views import Views, duck
 
@@ -787,3 +790,56 @@ def score_filter_topk(v: Views) -> DataFrame:
     rows = J.left_lookup(rows, artists, rows["artist_id"] == artists["a_id"], "followers", F.lit(0))
     scored = rows.select("spotify_id", T.normalize_title(c("name")).alias("title"), "appearances", N.quality_score(c("popularity"), c("followers"), c("appearances"), F.size("markets")).alias("score"))
     return scored.filter(P.quality_status(c("score")) == "enriched").orderBy(F.desc("score"), "spotify_id").limit(100)
+
+
+# streams, run to the end of what there is
+
+
+def _stream(v: Views) -> DataFrame:
+    kinds = v("events").schema
+    rows = v.spark.readStream.schema(kinds).parquet(f"{v.sf_dir}/events.parque[t]")
+    return rows.withColumn("at", c("ts").cast("timestamp"))
+
+
+def _drained(v: Views, stream: DataFrame, mode: str) -> DataFrame:
+    """All that a stream gives, written to the shared folder and read again; of a mode other than append what its last batch gives."""
+    at = f"{shared_dir(v.spark)}/cataloom-stream-{uuid.uuid4().hex}"
+    out = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{at}/state").trigger(availableNow=True)
+    if mode == "append":
+        out.format("parquet").option("path", f"{at}/out").start().awaitTermination(600)
+    else:
+        out.foreachBatch(lambda batch, _: batch.write.mode("overwrite").parquet(f"{at}/out")).start().awaitTermination(600)
+    return v.spark.read.schema(stream.schema).parquet(f"{at}/out")
+
+
+@query("select distinct user_id, event_type from events")
+def stream_dedup(v: Views) -> DataFrame:
+    return _drained(v, Z.deduplicated(_stream(v).select("user_id", "event_type"), ["user_id", "event_type"]), "append")
+
+
+@query("select event_type, arg_min(event_id, event_id) as first_event, count(*) as n from events group by event_type")
+def stream_upsert(v: Views) -> DataFrame:
+    at = f"{shared_dir(v.spark)}/cataloom-stream-{uuid.uuid4().hex}"
+    rows = _stream(v).select("event_type", c("event_id").alias("first_event"), F.lit(1).cast("bigint").alias("n"), c("event_id").alias("seq"))
+    table = Z.Snapshots(v.spark, f"{at}/table")
+    Z.upserting(rows, table, lambda: c("event_type"), ["seq"], U.Fold(count="n"), f"{at}/state", {"availableNow": True}).awaitTermination(600)
+    return table.latest()
+
+
+@query("select cast(date_trunc('day', ts) as string) as day, event_type, count(*) as n from events group by 1, 2")
+def stream_windows(v: Views) -> DataFrame:
+    """One file is one batch, so nothing is late."""
+    own = Z.counted(_stream(v), "at", "1 day", ["event_type"], "1 hour")
+    return _drained(v, own.withColumn("day", F.date_format("start", "yyyy-MM-dd HH:mm:ss")).select("day", "event_type", "n"), "complete")
+
+
+@query(f"select event_id from events where ts <= {NOW_SQL}")
+def stream_due(v: Views) -> DataFrame:
+    return _drained(v, Z.due(_stream(v), "at", now).select("event_id"), "append")
+
+
+@query()
+def stream_breaker(v: Views) -> DataFrame:
+    event = F.when(c("event_type") == "error", "fail").when(c("event_type") == "view", "check").otherwise("ok")
+    rows = _stream(v).select(c("user_id").cast("string").alias("service"), c("event_id").alias("seq"), (F.unix_micros("at") / 1e6).alias("at"), event.alias("event"))
+    return _drained(v, Z.breakers(rows, 2), "update")
