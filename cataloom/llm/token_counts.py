@@ -40,7 +40,7 @@ from .bpe import Codec, Vocabulary
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{_SPACE}]", c))
 #: Pieces that a worker keeps the counts of; beyond it starts to collect them anew.
-HELD = 400_000
+HELD = 250_000
 #: Steps of a text are bytes unless one is out of their range; the first byte has their width.
 _WIDTHS = {1: np.int8, 4: np.int32}
 
