@@ -134,6 +134,11 @@ def recording_query(title: Column, artist: Column) -> Column:
     return F.concat(F.lit('recording:"'), lucene_escape(title), F.lit('" AND artist:"'), lucene_escape(artist), F.lit('"'))
 
 
+def cover_url(template: Column, size: str = "200x200") -> Column:
+    """A cover's address of a size; a template has %% in its place."""
+    return F.replace(template, F.lit("%%"), F.lit(size))
+
+
 def mapped(code: Column, table: dict[str, str], otherwise: Column) -> Column:
     """``code`` by a table, or ``otherwise``."""
     pairs = F.create_map(*(F.lit(x) for pair in table.items() for x in pair))
