@@ -13,7 +13,8 @@ sorted; ``write`` carries all of them.
 
 Defined results: nulls are the least value; rows alike in all the named columns may stand in
 any order among themselves, each with a place of its own; an empty table has no rows and no
-runs; texts play no part; columns that aren't named are ignored, whatever they are called.
+runs; texts play no part; columns that aren't named are ignored, whatever they are called; carried
+columns called like an added one (hilbert, position, run, cell_<dim>) give way to it.
 """
 
 from __future__ import annotations
@@ -89,7 +90,8 @@ def ordered(docs: DataFrame, dims: Sequence[str] = DIMS, ties: Sequence[str] = (
     """(ties, dims, carry, cell_<dim>, hilbert, position, run) of every row, as a written table read again."""
     spark = docs.sparkSession
     workers_find_package(spark)
-    wanted = list(dict.fromkeys([*ties, *dims, *carry]))
+    added = {"hilbert", "position", "run", *(f"cell_{d}".lower() for d in dims)}
+    wanted = list(dict.fromkeys([*ties, *dims, *(c for c in carry if c.lower() not in added)]))
     own = docs.select(*(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(wanted)))
     for k, dim in enumerate(dims):
         cells = depth_cells(docs, dim, bits).select(F.col("v").alias(f"v{k}"), F.col("cell").alias(f"cell{k}"))
@@ -120,7 +122,8 @@ def manifest(rows: DataFrame, dims: Sequence[str] = DIMS) -> DataFrame:
 def write(docs: DataFrame, path: str, dims: Sequence[str] = DIMS, ties: Sequence[str] = ("doc_id",), bits: int = BITS, run_rows: int = RUN_ROWS) -> DataFrame:
     """Writes ``docs`` with all columns to ``path``, a folder and a file for each run; returns the manifest."""
     rows = ordered(docs, dims, ties, bits, run_rows, carry=docs.columns)
-    rows.repartition("run").sortWithinPartitions("run", "position").select(*docs.columns, "run").write.partitionBy("run").parquet(path)
+    names = [c for c in docs.columns if c in rows.columns and c.lower() not in ("hilbert", "position", "run")]
+    rows.repartition("run").sortWithinPartitions("run", "position").select(*names, "run").write.partitionBy("run").parquet(path)
     return manifest(rows, dims)
 
 

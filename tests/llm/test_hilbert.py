@@ -52,6 +52,13 @@ def test_written_runs_hold_all_rows_and_prune(spark, tmp_path):
     assert hit < runs.count() / 2  # a range on two dimensions reads less than half of the files
 
 
+def test_carried_columns_that_clash(spark, tmp_path):
+    docs = spark.createDataFrame([(1, "en", "s", 3, "x", 9), (1, "en", "s", 3, "y", 9)], "doc_id long, lang string, source string, n_chars long, text string, Run int")
+    hilbert.write(docs, str(tmp_path / "runs"))
+    back = spark.read.parquet(str(tmp_path / "runs"))
+    assert sorted(r["text"] for r in back.collect()) == ["x", "y"] and {r["run"] for r in back.collect()} == {0}
+
+
 def test_empty_table(spark):
     docs = spark.createDataFrame([], "doc_id long, lang string, source string, n_chars long")
     assert hilbert.ordered(docs).count() == 0
