@@ -11,7 +11,7 @@ from pathlib import Path
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Keys up to which a key table may be broadcast (16 bytes each or less: 16 MB).
+#: Rows up to which a written table may be broadcast (six columns of 8 bytes at most: 48 MB).
 BROADCAST_KEYS = 1_000_000
 _SENT = ""
 
