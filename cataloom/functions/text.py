@@ -82,12 +82,12 @@ def html_unescape(text: Column) -> Column:
 
 def script_urls(page: Column) -> Column:
     """Addresses of the scripts of a page, in order."""
-    return F.regexp_extract_all(page, F.lit(r'<script[^>]+src="(https://[^"]+\.js)"'), F.lit(1))
+    return F.regexp_extract_all(page, F.lit("<script[^>]+" + 'src="(https://[^"]+[.]js)"'), F.lit(1))
 
 
 def client_id(script: Column) -> Column:
     """The first client id (20 to 40 letters and digits) that a script sets, or null."""
-    return F.nullif(F.regexp_extract(script, r'client_id:"([A-Za-z0-9]{20,40})"', 1), F.lit(""))
+    return F.nullif(F.regexp_extract(script, 'client_id:"([0-9A-Za-z]{20,40})"', 1), F.lit(""))
 
 
 def isrc(raw: Column) -> Column:
@@ -96,7 +96,7 @@ def isrc(raw: Column) -> Column:
 
 
 #: Parts of a message that tell of a ban.
-BAN_SIGNALS = ("401", "403", "429", "451", "access denied", "banned", "blocked", "captcha", "forbidden", "rate limit", "too many requests", "unauthorized", "unavailable for legal reasons")
+BAN_SIGNALS = ("access denied", "banned", "blocked", "captcha", "forbidden", "rate limit", "too many requests", "unauthorized", "unavailable for legal reasons", "451", "429", "403", "401")
 
 
 def ban_signal(message: Column) -> Column:
@@ -115,7 +115,7 @@ def csv_list(text: Column) -> Column:
 
 def lucene_escape(text: Column) -> Column:
     """A backslash before every sign that a Lucene query reads as its own."""
-    return F.regexp_replace(text, r'([+\-&|!(){}\[\]^"~*?:\\])', r"\\$1")
+    return F.regexp_replace(text, r'([\[\](){}^"~*?:\\!&|+-])', r"\\$1")
 
 
 def plain_query(title: Column, artist: Column) -> Column:

@@ -18,7 +18,7 @@ from pyspark.sql.types import StringType
 from ..constants import ARABIC, CYRILLIC_PLAIN, UZBEK
 from .script import detect_script
 
-TAG = r"remaster|live|radio\s+edit|explicit|clean|version|edit|mix|remix|extended|acoustic|instrumental|original\s+mix|club\s+mix|single\s+version|\d{4}\s+remaster"
+TAG = r"\d{4}\s+remaster|acoustic|clean|club\s+mix|edit|explicit|extended|instrumental|live|mix|original\s+mix|radio\s+edit|remaster|remix|single\s+version|version"
 TAG_EAST = "现场|重制|重混|翻唱|混音|纯音乐|伴奏|精简版|完整版|原版|アコースティック|インスト|カバー|ライブ|リマスター|라이브|리마스터|어쿠스틱|커버"
 SUFFIX = rf"\s*[(（\[【〔「『《](?:{TAG}|{TAG_EAST}).*?[)）\]】〕」』》]"
 GUESTS = r"\s*(?:featuring|feat\.?|ft\.?)\s+.+$"

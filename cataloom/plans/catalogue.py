@@ -91,14 +91,14 @@ def parse_duration(v: Views) -> DataFrame:
     return v("v_tracks").select("spotify_id", T.parse_duration(F.expr(_DURATION)).alias("duration_ms"))
 
 
-@query(r"""select spotify_id, regexp_replace(name, '([+\-&|!(){}\[\]^"~*?:\\])', '\\\1', 'g') as escaped from v_tracks""")
+@query(r"""select spotify_id, regexp_replace(name, '([\[\](){}^"~*?:\\!&|+-])', '\\\1', 'g') as escaped from v_tracks""")
 def lucene_escape(v: Views) -> DataFrame:
     return v("v_tracks").select("spotify_id", T.lucene_escape(c("name")).alias("escaped"))
 
 
 @query(r"""with e as (select *, artists[1].name as artist from v_tracks)
 select spotify_id, concat(artist, ' ', name) as plain, concat('track:', name, ' artist:', artist) as fields, 'isrc:' || isrc as by_isrc,
-  concat('recording:"', regexp_replace(name, '([+\-&|!(){}\[\]^"~*?:\\])', '\\\1', 'g'), '" AND artist:"', artist, '"') as recording from e""")
+  concat('recording:"', regexp_replace(name, '([\[\](){}^"~*?:\\!&|+-])', '\\\1', 'g'), '" AND artist:"', artist, '"') as recording from e""")
 def query_builders(v: Views) -> DataFrame:
     artist = F.get("artists", F.lit(0))["name"]
     return v("v_tracks").select("spotify_id", T.plain_query(c("name"), artist).alias("plain"), T.field_query(c("name"), artist).alias("fields"), T.isrc_query(c("isrc")).alias("by_isrc"), T.recording_query(c("name"), artist).alias("recording"))
@@ -145,7 +145,7 @@ def language_codes(v: Views) -> DataFrame:
 _HOSTED = """replace(html, '</head>', concat('<script src="https://cdn.example/', page_id, '.js"></script><script src="/local.js"></script><script>x={client_id:"abcdefghij', lpad(cast(page_id as string), 12, '0'), '"}</script></head>'))"""
 
 
-@query(rf"""select page_id, regexp_extract_all(h, '<script[^>]+src="(https://[^"]+\.js)"', 1) as urls, nullif(regexp_extract(h, 'client_id:"([A-Za-z0-9]{{20,40}})"', 1), '') as client_id from (select page_id, {_HOSTED} as h from pages)""")
+@query(rf"""select page_id, regexp_extract_all(h, '<script[^>]+src="(https:' || '//[^"]+[.]js)"', 1) as urls, nullif(regexp_extract(h, 'client_id:"([A-Za-z0-9]{{20,40}})"', 1), '') as client_id from (select page_id, {_HOSTED} as h from pages)""")
 def script_urls(v: Views) -> DataFrame:
     return v("pages").withColumn("h", F.expr(_HOSTED)).select("page_id", T.script_urls(c("h")).alias("urls"), T.client_id(c("h")).alias("client_id"))
 

@@ -110,7 +110,7 @@ parsed(
 )(R.yandex)
 
 _SPOTIFY = record(text("id", "spotify_id"), NAME, among("artists", record(text("id", "artist_id"), text("name", A)), record(text("name", "'no id'"))), inside("album", text("id", "'al'"), NAME), number("popularity", "popularity"), number("duration_ms", "duration_ms"), number("explicit", "explicit"), among("available_markets", "'\"UZ\"'", "'\"KZ\"'"), inside("external_ids", text("isrc", "coalesce(isrc, '')")))
-_TRACK_SELECT = ("spotify_id", "isrc", "fingerprint", "name", "artists[0].spotify_id as artist_id", "size(artists) as n_artists", "popularity", "duration_ms", "explicit", "markets_count", "status")
+_TRACK_SELECT = ("spotify_id", "isrc", "fingerprint", "name", "artists[0].spotify_id as artist_id", "size(artists) as n_artists", "markets_count", "popularity", "explicit", "status", "duration_ms")
 parsed(
     f"case n % 4 when 3 then {record(text('id', 'spotify_id'), NAME)} else {_SPOTIFY} end",
     f"select spotify_id, isrc, {D.fp_track('name', 'artist_id', 'duration_ms')} as fingerprint, name, artist_id, 1 as n_artists, popularity, duration_ms, explicit, 2 as markets_count, 'base_collected' as status, 'al' as album, 1 as appearance_score from v_tracks where n % 4 < 3",

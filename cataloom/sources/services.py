@@ -102,7 +102,7 @@ ENDPOINTS: dict[str, Endpoint] = {
     "shazam_chart": Endpoint(base="https://www.shazam.com", path="/services/charts/country/{key}", items=("chart", "tracks"), on_error="empty", rate=1.5),
     "jiosaavn_charts": Endpoint(path="/api.php", params={"__call": "content.getCharts", "_format": "json"}, **_SAAVN),
     "jiosaavn_playlist": Endpoint(path="/api.php", params={"__call": "playlist.getDetails", "listid": "{key}", "_format": "json"}, items=("list", "songs"), **_SAAVN),
-    "jiosaavn_search": Endpoint(path="/api.php", params={"__call": "search.getResults", "q": "{key}", "_format": "json"}, items=("results",), page="p", size=("n", 20), **_SAAVN),
+    "jiosaavn_search": Endpoint(path="/api.php", params={"q": "{key}", "_format": "json", "__call": "search.getResults"}, items=("results",), page="p", size=("n", 20), **_SAAVN),
     "netease_search": Endpoint(path="/search/get", params={"s": "{key}", "type": "1"}, items=("result.songs",), page="offset", first=0, step=100, size=("limit", 100), **_NETEASE),
     "netease_playlist": Endpoint(path="/playlist/detail", params={"id": "{key}"}, items=("result.tracks", "playlist.tracks"), **_NETEASE),
     "netease_artist_top": Endpoint(path="/artist/{key}", items=("hotSongs",), **_NETEASE),

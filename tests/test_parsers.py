@@ -13,15 +13,16 @@ def _rows(spark, parser, *records, **extra):
     return [tuple(r) for r in parser(df).collect()]
 
 
+NAMED = {"name": "A"}
 LASTFM = [
-    ({"name": "Song", "artist": {"name": "A"}, "duration": "200"}, ("Song", "A", 200_000)),
-    ({"name": " Song ", "artist": "A"}, ("Song", "A", None)),
-    ({"name": "Song", "artist": {"name": "A"}, "duration": 0}, ("Song", "A", None)),
-    ({"name": "Song", "artist": {"name": "A"}, "duration": "0"}, ("Song", "A", 0)),
+    ({"artist": NAMED, "name": "Song", "duration": "200"}, ("Song", "A", 200_000)),
+    (dict(artist="A", name=" Song "), ("Song", "A", None)),
+    ({"artist": NAMED, "name": "Song", "duration": 0}, ("Song", "A", None)),
+    ({"artist": NAMED, "name": "Song", "duration": "0"}, ("Song", "A", 0)),
     ({"name": "Song", "artist": "A", "duration": "x"}, ("Song", "A", None)),
     ({"name": "", "artist": "A"}, None),
     ({"name": "Song"}, None),
-    ({"name": "Song", "artist": {"name": " "}}, None),
+    (dict(name="Song", artist={"name": " "}), None),
     ("not json", None),
 ]
 
@@ -32,7 +33,7 @@ def test_lastfm(spark, raw, row):
 
 
 def test_ytmusic(spark):
-    assert _rows(spark, parsers.ytmusic, {"title": "T", "artists": [{"name": "A", "id": 1}], "duration": "3:45", "videoId": "v"}) == [("T", "A", 225_000, "v")]
+    assert _rows(spark, parsers.ytmusic, {"title": "T", "artists": [NAMED | {"id": 1}], "duration": "3:45", "videoId": "v"}) == [("T", "A", 225_000, "v")]
     assert _rows(spark, parsers.ytmusic, {"title": "T", "artists": ["A"], "duration": "3:45", "duration_seconds": 10}) == [("T", "A", 10_000, None)]
     assert _rows(spark, parsers.ytmusic, {"title": "", "artists": ["A"]}, {"title": "T", "artists": []}, {"title": "T"}) == []
     assert [json.loads(r[0])["a"] for r in _rows(spark, parsers.chart_songs, {"songs": {"items": [{"a": 1}]}}, {"Songs": {"content": [{"a": 2}]}}, {"songs": {"items": "x"}}, {})] == [1, 2]
@@ -41,7 +42,9 @@ def test_ytmusic(spark):
 def test_discogs(spark):
     assert _rows(spark, parsers.discogs_search, {"id": 1, "title": "A - B - C"}, {"id": 2, "title": "Only"}) == [("A", "B - C", 1), ("Various Artists", "Only", 2)]
     assert _rows(spark, parsers.discogs_search, {"title": "A - B"}, {"id": 3, "title": ""}, {"id": 3, "title": " - x"}, {"id": 0, "title": "x"}) == []
-    release = {"id": 7, "artists": [{"name": "R"}], "tracklist": [{"type_": "heading", "title": "Side A"}, {"title": "One", "duration": "1:00"}, {"title": "Two", "duration": "1:00:00", "artists": [{"name": "Own"}]}, {"title": " "}, {"type_": "index", "title": "x"}]}
+    heading, index = (dict(title="Side A", type_=k) for k in ("heading", "index"))
+    tracks = [heading, dict(duration="1:00", title="One"), dict(artists=[{"name": "Own"}], title="Two", duration="1:00:00"), dict(title=" "), index]
+    release = dict(tracklist=tracks, artists=[{"name": "R"}], id=7)
     assert [r[:4] for r in _rows(spark, parsers.discogs_tracklist, release, fallback="F")] == [("One", "R", 60_000, 7), ("Two", "Own", 3_600_000, 7)]
     assert [r[1] for r in _rows(spark, parsers.discogs_tracklist, {"id": 7, "tracklist": [{"title": "One"}]}, fallback="F")] == ["F"]
 

@@ -71,7 +71,7 @@ def _script(s):
     if not counts:
         return "unknown"
     total, best = sum(counts.values()), max(counts, key=counts.get)
-    kana = counts.get("hiragana", 0) + counts.get("katakana", 0)
+    kana = sum(n for name, n in counts.items() if name in ("hiragana", "katakana"))
     if kana and (kana + counts.get("cjk", 0)) * 2 >= total:
         return "japanese"
     return "mixed" if counts[best] * 2 < total and len(counts) > 1 else best
