@@ -54,7 +54,9 @@ def token_set_ratio(a: str, b: str) -> float:
 @lru_cache(200_000)
 def str_similarity(a: str, b: str) -> float:
     """The better of both token ratios, 0 to 1; 0 where either is empty."""
-    return max(token_sort_ratio(a, b), token_set_ratio(a, b)) / 100 if a and b else 0.0
+    if not a.split() or not b.split():
+        return 0.0
+    return 1.0 if a == b else max(token_sort_ratio(a, b), token_set_ratio(a, b)) / 100
 
 
 @lru_cache(200_000)

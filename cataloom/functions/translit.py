@@ -85,15 +85,21 @@ def hangul_to_latin(text: Column) -> Column:
 
 def transliterate(name: Column, script: Column, language: Column) -> Column:
     """A name in Latin letters by its script; null for Latin, Hebrew, mixed, unknown, and for an empty name; a blank result gives the name itself."""
-    out = F.when(script == "arabic", arabic_to_latin(name)).when(script.isin("cyrillic", "georgian", "armenian"), cyrillic_to_latin(name, language))
-    out = out.when(script.isin("cjk", "japanese", "hiragana", "katakana", "hangul", "devanagari", "indic", "thai"), ascii_to_latin(name))
-    return F.when(F.coalesce(name, F.lit("")) != "", F.when(out.isNotNull(), F.coalesce(F.when(F.trim(out) != "", out), name)))
+
+    def spell(r: Column) -> Column:
+        name, script = r["name"], r["script"]
+        out = F.when(script == "arabic", arabic_to_latin(name)).when(script.isin("cyrillic", "georgian", "armenian"), cyrillic_to_latin(name, r["language"]))
+        out = out.when(script.isin("cjk", "japanese", "hiragana", "katakana", "hangul", "devanagari", "indic", "thai"), ascii_to_latin(name))
+        return F.when(out.isNotNull(), F.coalesce(F.when(F.trim(out) != "", out), name))
+
+    # bound once, so that the script isn't worked out again where it is named
+    row = F.struct(name.alias("name"), script.alias("script"), language.alias("language"))
+    return F.when(F.coalesce(name, F.lit("")) != "", F.get(F.transform(F.array(row), spell), F.lit(0)))
 
 
 def to_latin(text: Column) -> Column:
     """A text transliterated by its own script, or as it is."""
-    own = F.struct(text.alias("t"), detect_script(text).alias("s"))
-    made = F.get(F.transform(F.array(own), lambda r: transliterate(r["t"], r["s"], F.lit(None).cast("string"))), F.lit(0))
+    made = transliterate(text, detect_script(text), F.lit(None).cast("string"))
     return F.when(text.rlike(r"[^\x00-\x7F]"), F.coalesce(made, text)).otherwise(text)
 
 
