@@ -60,7 +60,7 @@ def flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return raw, off - off[0]
 
 
-def parts(batch: pa.RecordBatch, text: str, most: int = 8 * BLOCK) -> Iterator[pa.RecordBatch]:
+def parts(batch: pa.RecordBatch, text: str, most: int = 2 * BLOCK) -> Iterator[pa.RecordBatch]:
     """Slices of a batch with about ``most`` bytes of text at most each (a longer text is a slice of its own)."""
     if not len(batch):
         return
