@@ -5,7 +5,8 @@ as steps: by how many tokens the count changes when the character is added.  The
 exact, so a prefix has the count that encoding it alone would give.  They come from dynamic
 programming over prefixes: the encoding of a prefix is the encoding of a shorter one plus a
 last token, and of all tokens that end there exactly one may follow, the one that the merges
-leave standing beside the shorter prefix's last token.  So no prefix is encoded anew.
+leave standing beside the shorter prefix's last token.  So no prefix is encoded anew.  New
+pieces are taken together, end by end; which tokens may follow which is remembered.
 
 A text is split into pieces as before encoding.  A prefix that ends within a piece has the
 same pieces before it, but in two places: white space before a space that belongs to the
@@ -22,7 +23,6 @@ are counted apart; other columns are ignored.
 
 from __future__ import annotations
 
-from array import array
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -39,8 +39,12 @@ from .bpe import Codec, Vocabulary
 
 _SPACE = r"\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
 _SPACES = frozenset(c for c in map(chr, range(0x3001)) if regex.match(f"[{_SPACE}]", c))
-#: Pieces that a worker keeps the counts of; beyond it starts to collect them anew.
+#: Pieces that a worker keeps the counts of; beyond it keeps those it met most, half as many at most.
 HELD = 250_000
+#: Pairs of tokens that a worker remembers; beyond it starts anew.
+PAIRS = 500_000
+#: Bytes of a piece up to which it is counted together with others, and how many are taken at once.
+SHORT, TOGETHER = 64, 5_000
 #: Steps of a text are bytes unless one is out of their range; the first byte has their width.
 _WIDTHS = {1: np.int8, 4: np.int32}
 
@@ -48,14 +52,44 @@ _WIDTHS = {1: np.int8, 4: np.int32}
 def merge(ranks: dict[bytes, int], piece: bytes) -> list[bytes]:
     """The tokens of a piece: again and again the leftmost pair of the lowest rank is merged."""
     parts = [piece[k : k + 1] for k in range(len(piece))]
-    while len(parts) > 1:
-        best, at = min((ranks.get(a + b, 1 << 40), k) for k, (a, b) in enumerate(zip(parts, parts[1:])))
-        if best == 1 << 40:
-            break
+    never = 1 << 40
+    rank = [ranks.get(a + b, never) for a, b in zip(parts, parts[1:])]
+    while rank and (best := min(rank)) < never:
+        at = rank.index(best)
         parts[at : at + 2] = [parts[at] + parts[at + 1]]
+        del rank[at]
+        if at:
+            rank[at - 1] = ranks.get(parts[at - 1] + parts[at], never)
+        if at < len(rank):
+            rank[at] = ranks.get(parts[at] + parts[at + 1], never)
     return parts
 
 
+def _runs(starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Indexes of runs of these starts and sizes, one after the other."""
+    ends = np.cumsum(sizes)
+    steps = np.ones(int(ends[-1]) if len(ends) else 0, np.int64)
+    if len(steps):
+        steps[0] = starts[0]
+        steps[ends[:-1]] += starts[1:] - starts[:-1] - sizes[:-1]
+    return np.cumsum(steps, out=steps)
+
+
+class Fits(dict):
+    """Pair of tokens (left << 32 | right) -> whether the merges leave the two standing side by side."""
+
+    def __init__(self, codec: Codec) -> None:
+        super().__init__()
+        self.codec = codec
+
+    def __missing__(self, pair: int) -> bool:
+        if len(self) >= PAIRS:
+            self.clear()
+        left, right = self.codec.bytes_of[pair >> 32], self.codec.bytes_of[pair & 0xFFFFFFFF]
+        known = self[pair] = merge(self.codec.ranks, left + right) == [left, right]
+        return known
+
+
 class Counter(dict):
     """Piece -> its number, under which the counts of its prefixes lie in ``values``."""
 
@@ -65,25 +99,29 @@ class Counter(dict):
         space = pattern.replace(r"[^\s", f"[^{_SPACE}").replace(r"\s", f"[{_SPACE}]").replace(r"\S", f"[^{_SPACE}]")
         self.split = regex.compile(space).findall
         self.size = codec.lengths.tolist()
+        self.fits = Fits(codec)
         self.ends = ahocorasick.Automaton()
         for token, rank in codec.ranks.items():
             self.ends.add_word(token.decode("latin-1"), rank)
         self.ends.make_automaton()
-        self.forget()
+        self.fresh: list[str] = []
+        self.joined: dict[tuple[str, str], int] = {}
+        self.values, self.starts, self.chars, self.met = np.zeros(0, np.int32), np.zeros(0, np.int64), np.zeros(0, np.int64), np.zeros(0, np.int64)
+        self.blank, self.opens = np.zeros(0, bool), np.zeros(0, bool)
 
     def forget(self) -> None:
+        """Only pieces met more than once since the last time stay, of those the ones met most."""
+        keep = np.flatnonzero(self.met > 1)
+        if (over := len(keep) - HELD // 2) > 0:
+            keep = np.sort(keep[np.argsort(self.met[keep], kind="stable")[over:]])
+        names = list(self)
         self.clear()
-        self.fits: dict[int, bool] = {}
-        self.joined: dict[tuple[str, str], int] = {}
-        self.values, self.starts, self.chars = array("i"), array("q"), array("i")
-        self.blank, self.opens = array("b"), array("b")
-
-    def _may_follow(self, a: int, b: int) -> bool:
-        key = a << 32 | b
-        if (known := self.fits.get(key)) is None:
-            left, right = self.codec.bytes_of[a], self.codec.bytes_of[b]
-            known = self.fits[key] = merge(self.codec.ranks, left + right) == [left, right]
-        return known
+        self.update((names[k], own) for own, k in enumerate(keep.tolist()))
+        self.joined.clear()
+        n = self.chars[keep]
+        self.values = self.values[_runs(self.starts[keep], n)]
+        self.starts, self.chars, self.met = np.cumsum(n) - n, n, np.zeros(len(keep), np.int64)
+        self.blank, self.opens = self.blank[keep], self.opens[keep]
 
     def prefixes(self, piece: bytes) -> list[int]:
         """Tokens of every prefix of a piece, from 0 bytes on."""
@@ -93,31 +131,79 @@ class Counter(dict):
             if end == done:
                 continue
             at = end + 1 - self.size[token]
-            if not at or self._may_follow(last[at], token):
+            if not at or self.fits[last[at] << 32 | token]:
                 count[end + 1], last[end + 1], done = count[at] + 1, token, end
         return count
 
-    def of_chars(self, piece: str) -> list[int]:
-        raw = piece.encode()
-        count = self.prefixes(raw)
-        if len(raw) == len(piece):
-            out = count[1:]
-        else:
-            out = [count[k] for k in range(1, len(raw) + 1) if k == len(raw) or raw[k] & 0xC0 != 0x80]
-        if piece in ("'re", "'ve", "'ll"):
-            out[1] = 2
-        return out
+    def together(self, raw: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+        """Tokens of every prefix of one byte or more, of short pieces in a row."""
+        stops = np.cumsum(sizes)
+        count, last = np.zeros(len(raw), np.int32), np.zeros(len(raw), np.int64)
+        found = np.fromiter(self.ends.iter(raw.tobytes().decode("latin-1")), np.dtype("i4,i4"))
+        end, token = found["f0"], found["f1"].astype(np.int64)
+        start = np.repeat(stops - sizes, sizes)[end]
+        at = end + 1 - self.codec.lengths[token]
+        own = at >= start
+        end, token, at, start = end[own], token[own], at[own], start[own]
+        turn = np.arange(len(end))
+        turn -= np.maximum.accumulate(np.where(np.diff(end, prepend=-1) > 0, turn, 0))  # the longest token that ends there first
+        turn += (end - start) * SHORT
+        order = np.argsort(turn.astype(np.int16), kind="stable")
+        bounds = np.flatnonzero(np.diff(turn[order], prepend=-1)).tolist()
+        end, token, before, whole = end[order], token[order], at[order] - 1, (at == start)[order]
+        for a, b in zip(bounds, [*bounds[1:], len(end)]):
+            left = np.flatnonzero(count[end[a:b]] == 0) + a
+            fit = whole[left]
+            rest = left[~fit]
+            pairs = last[before[rest]] << 32 | token[rest]
+            fit[~fit] = np.fromiter(map(self.fits.__getitem__, pairs.tolist()), bool, len(rest))
+            left = left[fit]
+            last[end[left]] = token[left]
+            count[end[left]] = np.where(whole[left], 0, count[before[left]]) + 1
+        return count
+
+    def of_pieces(self, pieces: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(tokens of every prefix of one character or more, piece by piece; characters of each piece)."""
+        data = "".join(pieces).encode()
+        raw = np.frombuffer(data, np.uint8)
+        lead = np.flatnonzero(raw & 0xC0 != 0x80)
+        chars = np.fromiter(map(len, pieces), np.int64, len(pieces))
+        first = np.cumsum(chars) - chars
+        starts = lead[first]
+        sizes = np.diff(starts, append=len(raw))
+        count = np.zeros(len(raw), np.int32)
+        short = sizes <= SHORT
+        for k in np.flatnonzero(~short):
+            at, stop = starts[k], starts[k] + sizes[k]
+            count[at:stop] = self.prefixes(data[at:stop])[1:]
+        if short.any():
+            of_short = np.repeat(short, sizes)
+            count[of_short] = self.together(raw[of_short], sizes[short])
+        out = count[np.append(lead[1:], len(raw)) - 1]
+        for k, piece in enumerate(pieces):
+            if piece in ("'re", "'ve", "'ll"):
+                out[first[k] + 1] = 2
+        return out, chars
 
     def __missing__(self, piece: str) -> int:
-        own = self[piece] = len(self.starts)
-        counts = self.of_chars(piece)
-        self.starts.append(len(self.values))
-        self.values.extend(counts)
-        self.chars.append(len(counts))
-        self.blank.append(piece.isspace() and _SPACES.issuperset(piece))
-        self.opens.append(piece[0] in _SPACES)
+        own = self[piece] = len(self)
+        self.fresh.append(piece)
         return own
 
+    def learn(self) -> None:
+        """Counts the pieces that were met since."""
+        if not self.fresh:
+            return
+        parts = [self.of_pieces(self.fresh[k : k + TOGETHER]) for k in range(0, len(self.fresh), TOGETHER)]
+        chars = np.concatenate([n for _, n in parts])
+        self.starts = np.append(self.starts, len(self.values) + np.cumsum(chars) - chars)
+        self.chars = np.append(self.chars, chars)
+        self.values = np.concatenate([self.values, *(counts for counts, _ in parts)])
+        self.blank = np.append(self.blank, np.array([p.isspace() and _SPACES.issuperset(p) for p in self.fresh]))
+        self.opens = np.append(self.opens, np.array([p[0] in _SPACES for p in self.fresh]))
+        self.met = np.append(self.met, np.zeros(len(self.fresh), np.int64))
+        self.fresh = []
+
     def count(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """(tokens of every prefix of one character or more, text by text; where each text ends)."""
         if len(self) > HELD:
@@ -130,15 +216,17 @@ class Counter(dict):
             pieces += found
             own += map(self.__getitem__, found)
             ends[k + 1] = len(own)
+        self.learn()
         ids = np.array(own, np.int64)
-        values, starts, chars = np.array(self.values, np.int32), np.array(self.starts, np.int64), np.array(self.chars, np.int64)
-        n = chars[ids]
+        self.met += np.bincount(ids, minlength=len(self))
+        n = self.chars[ids]
         at = np.r_[0, np.cumsum(n)]
-        whole = values[(starts + chars - 1)[ids]].astype(np.int64)
+        whole = self.values[(self.starts + self.chars - 1)[ids]].astype(np.int64)
         before = np.r_[0, np.cumsum(whole)]
         before = before[:-1] - np.repeat(before[ends[:-1]], np.diff(ends))
-        out = np.repeat(before, n) + values[np.repeat(starts[ids] - at[:-1], n) + np.arange(at[-1])]
-        blank, opens = np.array(self.blank, bool)[ids], np.array(self.opens, bool)[ids]
+        out = self.values[_runs(self.starts[ids], n)]
+        out += np.repeat(before.astype(np.int32), n)
+        blank, opens = self.blank[ids], self.opens[ids]
         of = np.repeat(np.arange(len(texts)), np.diff(ends))
         for k in np.flatnonzero(blank[:-1] & opens[1:] & (of[:-1] == of[1:])):
             key = (pieces[k], pieces[k + 1][0])

@@ -76,6 +76,53 @@ def test_forgetting_changes_nothing(monkeypatch):
     assert [other.count([t])[0].tolist() for t in texts] == expected
 
 
+def test_no_pair_of_tokens_is_merged_twice(monkeypatch):
+    texts = _random_texts(60)
+    merged = []
+    merge = token_counts.merge
+    monkeypatch.setattr(token_counts, "merge", lambda ranks, piece: merged.append(piece) or merge(ranks, piece))
+    monkeypatch.setattr(token_counts, "HELD", 3)
+    counter = token_counts.Counter(VOCABULARY.codec(), VOCABULARY.pattern)
+    first = [counter.count([t])[0].tolist() for t in texts]
+    before = len(merged)
+    assert before and [counter.count([t])[0].tolist() for t in texts] == first
+    assert len(merged) == before
+
+
+def test_the_pieces_met_most_outlast_forgetting(monkeypatch):
+    monkeypatch.setattr(token_counts, "HELD", 4)
+    codec = VOCABULARY.codec()
+    counter = token_counts.Counter(codec, VOCABULARY.pattern)
+    counter.count(["漢字 bee bee bee cad cad cad dew dew ewe"])
+    counter.forget()
+    assert list(counter) == [" bee", " cad"]
+    text = "x cad fee bee漢"
+    assert counter.count([text])[0].tolist() == [len(codec.encoding.encode_ordinary(text[: j + 1])) for j in range(len(text))]
+    counter.forget()
+    assert not counter
+
+
+@pytest.mark.parametrize("name, most", [("SHORT", 1), ("SHORT", 5), ("TOGETHER", 2), ("PAIRS", 2)])
+def test_bounds_of_counting_together_change_nothing(monkeypatch, name, most):
+    codec = VOCABULARY.codec()
+    texts = [*ODD, *_random_texts(60), "x" * 63, "y" * 64, "z" * 65, "é" * 32, "ß" * 33]
+    expected = token_counts.Counter(codec, VOCABULARY.pattern).count(texts)
+    monkeypatch.setattr(token_counts, name, most)
+    got = token_counts.Counter(codec, VOCABULARY.pattern).count(texts)
+    assert got[0].tolist() == expected[0].tolist() and got[1].tolist() == expected[1].tolist()
+    for k, text in enumerate(texts):
+        assert got[0][got[1][k] : got[1][k + 1]].tolist() == [len(codec.encoding.encode_ordinary(text[: j + 1])) for j in range(len(text))]
+
+
+def test_merging_as_the_tokenizer_merges():
+    codec = VOCABULARY.codec()
+    draw = random.Random(7)
+    tokens = sorted(codec.ranks)
+    for _ in range(3000):
+        piece = b"".join(draw.choices(tokens, k=draw.randint(1, 3)))
+        assert token_counts.merge(codec.ranks, piece) == [codec.bytes_of[t] for t in codec.encoding._encode_single_piece(piece)]
+
+
 def test_steps_out_of_range_of_a_byte():
     counts = np.array([1, 400, 2, 5], np.int64)
     (steps,) = token_counts.packed(counts, np.array([0, 4]))
