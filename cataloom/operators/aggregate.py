@@ -8,10 +8,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 
-def top_artists(tracks: DataFrame, limit: int = 500) -> DataFrame:
-    """(artist_id, name, track_count, popularity, followers): artists of the most tracks; of a name's spellings that of the least track id; ties by id."""
-    rows = tracks.select("spotify_id", "popularity", "artist_followers", F.posexplode("artists").alias("pos", "a"))
-    own = rows.filter("a.spotify_id is not null").groupBy(F.col("a.spotify_id").alias("artist_id"))
+def top_artists(tracks: DataFrame, limit: int = 500, placeholders: bool = True) -> DataFrame:
+    """(artist_id, name, track_count, popularity, followers): artists of the most tracks; of a name's spellings that of the least track id; ties by id.
+
+    Without ``placeholders``, ids with a colon take no place among the ``limit``.
+    """
+    rows = tracks.select("spotify_id", "popularity", "artist_followers", F.posexplode("artists").alias("pos", "a")).filter("a.spotify_id is not null")
+    own = (rows if placeholders else rows.filter(~F.contains("a.spotify_id", F.lit(":")))).groupBy(F.col("a.spotify_id").alias("artist_id"))
     out = own.agg(F.min_by("a.name", F.struct("spotify_id", "pos")).alias("name"), F.count(F.lit(1)).alias("track_count"), F.max("popularity").alias("popularity"), F.max("artist_followers").alias("followers"))
     return out.orderBy(F.desc("track_count"), "artist_id").limit(limit)
 
@@ -23,7 +26,7 @@ def regional_top_artists(tracks: DataFrame, regions: Iterable[str] = ("cis", "ce
     hit = F.lit(False)
     for r in regions:
         hit = hit | F.coalesce(F.col(f"regions.{r}"), F.lit(False))
-    out = top_artists(tracks.filter(hit), limit).filter(~F.contains("artist_id", F.lit(":")))
+    out = top_artists(tracks.filter(hit), limit, placeholders=False)
     return out.withColumn("priority", F.greatest(artist_priority(F.col("popularity"), F.col("followers")), F.lit(floor)))
 
 
