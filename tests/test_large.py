@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from cataloom.operators import aggregate
+from cataloom.operators import aggregate, match
 
 
 def test_placeholders_take_no_place_of_an_artist(spark):
@@ -10,3 +10,12 @@ def test_placeholders_take_no_place_of_an_artist(spark):
     rows = [(f"t{k}", k, 10, [("deezer:1", "D")] + ([("a", "A")] if k else []) + ([("b", "B")] if k > 1 else []), (True, None)) for k in range(4)]
     got = aggregate.regional_top_artists(spark.createDataFrame(rows, kind), ("cis", "mena"), 2).collect()
     assert [(r["artist_id"], r["track_count"]) for r in got] == [("a", 3), ("b", 2)]
+
+
+def test_a_block_is_not_paired_whole(spark):
+    rows = spark.range(300).select(F.col("id").alias("n"), (F.col("id") % 2).alias("block"), F.col("id").cast("string").alias("title"))
+    other = rows.select("block", F.col("n").alias("other_n"), F.col("title").alias("other_title"))
+    pairs = match.first_pairs(rows, other, "block", "n", 4)
+    assert pairs.count() <= 5 * 300
+    by = lambda df: sorted(tuple(r) for r in match.first_results(df, "n", ["other_n"], 4).select("n", "other_n", "title", "other_title").collect())
+    assert by(pairs) == by(rows.join(other, "block").filter("n <> other_n"))
