@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .script import detect_script, script_or_null
+from .script import detect_script, once, script_or_null
 
 WORDS = {
     "en": "the and of to in that is it for with was on as be by this are from at or not have you",
@@ -29,19 +29,19 @@ FIRST_CHARS = 1000
 def detect(text: Column) -> Column:
     """struct(language, probability) of the first 1,000 characters, or null where nothing is known."""
     own = F.substring(text, 1, FIRST_CHARS)
-    words = F.filter(F.split(F.lower(own), r"[^\p{L}]+"), lambda w: w != "")
+    pairs = F.create_map(*(F.lit(x) for pair in OF_SCRIPT.items() for x in pair))
 
-    def hit(name: str, known: str, order: int) -> Column:
-        return F.struct(F.size(F.filter(words, lambda w: w.isin(*known.split()))).alias("n"), F.lit(-order).alias("order"), F.lit(name).alias("language"))
+    def hits(words: Column) -> Column:
+        size = lambda known: F.size(F.filter(words, lambda w: w.isin(*known.split())))
+        return F.array(*(F.struct(size(known).alias("n"), F.lit(-k).alias("order"), F.lit(name).alias("language")) for k, (name, known) in enumerate(WORDS.items())))
 
-    hits = [hit(name, known, k) for k, (name, known) in enumerate(WORDS.items())]
-    best = F.array_max(F.array(*hits))
-    total = F.aggregate(F.array(*(h["n"] for h in hits)), F.lit(0), lambda a, b: a + b)
-    script = detect_script(own)
-    pairs = F.create_map(*(F.lit(x) for pair in OF_SCRIPT.items() for x in pair))
-    by_words = F.when(best["n"] > 0, F.struct(best["language"].alias("language"), (best["n"].cast("double") / total).alias("probability")))
-    by_script = F.struct(F.element_at(pairs, script).alias("language"), F.lit(1.0).alias("probability"))
-    return F.when(script.isin(*OF_SCRIPT), by_script).otherwise(by_words)
+    def likeliest(found: Column) -> Column:
+        total = F.aggregate(found, F.lit(0), lambda n, h: n + h["n"])
+        return once(F.array_max(found), lambda best: F.when(best["n"] > 0, F.struct(best["language"].alias("language"), (best["n"].cast("double") / total).alias("probability"))))
+
+    by_words = once(once(F.split(F.lower(own), r"[^\p{L}]+"), hits), likeliest)
+    by_script = lambda script: F.struct(F.element_at(pairs, script).alias("language"), F.lit(1.0).alias("probability"))
+    return once(detect_script(own), lambda script: F.when(script.isin(*OF_SCRIPT), by_script(script)).otherwise(by_words))
 
 
 def resolve_language(
@@ -50,12 +50,17 @@ def resolve_language(
     """struct(language, script, source): by MusicBrainz, else the lyrics, else title and the first two artists."""
     names = F.filter(F.concat(F.array(title), F.slice(F.coalesce(artists, F.array().cast("array<string>")), 1, 2)), lambda x: x.isNotNull() & (x != ""))
     combined = F.array_join(names, " ")
-    from_lyrics = F.when(F.length(lyrics) >= min_text, detector(lyrics)["language"])
-    guess = F.when(F.length(combined) >= 10, detector(combined))
-    out = lambda language, script, source: F.struct(language.alias("language"), script.alias("script"), F.lit(source).alias("source"))
     known = (F.coalesce(mb_language, F.lit("")) != "") & F.coalesce(mb_enriched, F.lit(False))
-    return (
-        F.when(known, out(mb_language, mb_script, "musicbrainz"))
-        .when(from_lyrics.isNotNull(), out(from_lyrics, script_or_null(lyrics), "lyrics"))
-        .otherwise(out(F.when(guess["probability"] >= 0.8, guess["language"]), F.when(combined != "", script_or_null(combined)), "title_detection"))
-    )
+    from_lyrics = F.when(~known & (F.length(lyrics) >= min_text), detector(lyrics)["language"])
+    guess = F.when(~known & (F.length(combined) >= 10), detector(combined))
+    out = lambda language, script, source: F.struct(language.alias("language"), script.alias("script"), F.lit(source).alias("source"))
+
+    def decide(own: Column) -> Column:
+        said, guess = own["said"], own["guess"]
+        return (
+            F.when(known, out(mb_language, mb_script, "musicbrainz"))
+            .when(said.isNotNull(), out(said, script_or_null(lyrics), "lyrics"))
+            .otherwise(out(F.when(guess["probability"] >= 0.8, guess["language"]), F.when(combined != "", script_or_null(combined)), "title_detection"))
+        )
+
+    return once(F.struct(from_lyrics.alias("said"), guess.alias("guess")), decide)

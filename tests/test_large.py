@@ -2,6 +2,7 @@
 
 from pyspark.sql import functions as F
 
+from cataloom.functions import language
 from cataloom.operators import aggregate, match
 
 
@@ -19,3 +20,9 @@ def test_a_block_is_not_paired_whole(spark):
     assert pairs.count() <= 5 * 300
     by = lambda df: sorted(tuple(r) for r in match.first_results(df, "n", ["other_n"], 4).select("n", "other_n", "title", "other_title").collect())
     assert by(pairs) == by(rows.join(other, "block").filter("n <> other_n"))
+
+
+def test_language_reads_a_text_once(spark):
+    found = [F.lit("the sum of it").alias("x")]
+    plan = spark.range(1).select(language.detect(found[0]).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("split(") <= 1
