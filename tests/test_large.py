@@ -1,9 +1,13 @@
 """What shows only on larger tables: limits, bounded searches, and what grows faster than the input."""
 
+import tracemalloc
+
+import pyarrow as pa
 from pyspark.sql import functions as F
 
-from cataloom.functions import language
+from cataloom.functions import html, language
 from cataloom.operators import aggregate, match
+from cataloom.sources import parsers
 
 
 def test_placeholders_take_no_place_of_an_artist(spark):
@@ -23,6 +27,23 @@ def test_a_block_is_not_paired_whole(spark):
 
 
 def test_language_reads_a_text_once(spark):
-    found = [F.lit("the sum of it").alias("x")]
-    plan = spark.range(1).select(language.detect(found[0]).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
+    plan = spark.range(1).select(language.detect(F.col("id").cast("string")).alias("l"))._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("split(") <= 1
+
+
+def test_a_record_is_read_once(spark):
+    rows = spark.createDataFrame([('{"id":"1","title":"a &amp; b","more_info":{"primary_artists":"x &amp; y, z"}}',), ('{"id":"2","title":"t"}',)], "raw string")
+    got = parsers.jiosaavn(rows)
+    assert [tuple(r) for r in got.collect()] == [("1", "a & b", "x & y", 0, "")]
+    plan = got._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("_unescape(") <= 3, plan.count("_unescape(")
+
+
+def test_a_batch_of_pages_is_not_held_as_strings():
+    batch = pa.array(["<p>" + "x" * 20_000 + f"{k}</p>" for k in range(2000)])
+    tracemalloc.start()
+    found = html._extract.func(batch)
+    peak = tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert found.null_count == len(found) == 2000
+    assert peak < 10_000_000
